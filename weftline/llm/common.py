@@ -60,3 +60,22 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         held += size
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "float": pa.float32()}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a flat DDL string such as ``doc_id long, text string, bands array<long>``."""
+    fields = []
+    for part in ddl.split(", "):
+        name, kind = part.split(" ")
+        fields.append((name, pa.list_(_KINDS[kind[6:-1]]) if kind.startswith("array<") else _KINDS[kind]))
+    return pa.schema(fields)
+
+
+def record(ddl: str, columns: dict | list) -> pa.RecordBatch:
+    """A batch of the columns, as the DDL has them."""
+    kind = arrow_schema(ddl)
+    given = [columns[n] for n in kind.names] if isinstance(columns, dict) else columns
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) and x.type == f.type else pa.array(x, f.type) for x, f in zip(given, kind, strict=True)], schema=kind)
