@@ -234,3 +234,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     tied = keyed.filter(f"not ({loose})").join(reps, ["key", "more"]).select("doc_id", "n_shingles", F.col("root").alias("component_id"))
     alone = keyed.filter(loose).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return tied.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_copies(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row of each group: that of the smallest id.
+
+    Where rows of one group share that id, the one with the smallest text and then the first by the
+    hash of its other columns stays (of wholly equal rows, any one).  Rows without an id stay.
+    """
+    found = staged(near_duplicates(docs, percent, doc_id, text), "groups")
+    gone = _small(staged(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
+    left = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    twice = staged(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_twice")), "twice")
+    if twice.isEmpty():
+        return left
+    again = left.join(_small(twice), F.col(doc_id) == F.col("_twice"), "left_semi")
+    one = again.withColumn("_n", F.expr(f"row_number() over (partition by {doc_id} order by {text} nulls last, xxhash64(*))")).filter("_n = 1").drop("_n")
+    return left.join(_small(twice), F.col(doc_id) == F.col("_twice"), "left_anti").unionByName(one)
