@@ -1 +1 @@
-
+"""Functions over SQL text."""

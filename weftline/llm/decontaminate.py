@@ -11,8 +11,8 @@ necessary prefix is one shingle, and the rarest is taken:
    where the window would start, which must leave room for the whole window in the text,
 4. candidates go back to their documents, where the window's words are compared with the words there.
 
-Benchmark tables are broadcast only after a count; beyond the bound they are shuffled.  A document's
-text is moved at most once.  All rows with one doc_id share candidates but are verified each, so
+Benchmark shingles and the ids of documents with candidates are broadcast only after a count; beyond
+the bounds they are shuffled.  Only texts with candidates are moved, once (all of them beyond the bound).  All rows with one doc_id share candidates but are verified each, so
 repeated ids are right.  Null and empty texts have no words; null item ids and texts are ignored;
 without benchmark items nothing is hit.
 """
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from weftline.llm.common import lower_ascii, staged
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: rows of about 40 bytes (shingles) and of a few hundred bytes (candidates) that may be broadcast
-BROADCAST_SHINGLES, BROADCAST_CANDIDATES = 500_000, 50_000
+#: rows of about 40 bytes (shingles) and 16 bytes (ids) that may be broadcast
+BROADCAST_SHINGLES, BROADCAST_IDS = 500_000, 2_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -64,14 +64,22 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, gram: int =
         prefix = ordered.groupBy("wid", "long").agg(F.min(F.struct("many", "offset", "shingle")).alias("p")).filter("p.many > 0").select("wid", "long", "p.offset", "p.shingle")
         found = places.join(prefix, "shingle").withColumn("start", F.col("place") - F.col("offset")).filter("start >= 0 and start + long <= n_words").select("id", "start", "wid")
         candidates = found if candidates is None else candidates.union(found)
-    rows = docs.withColumn("_w", words_of(F.col(text)))
+    none = F.struct(F.size(words_of(F.col(text))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     if candidates is None:
-        return rows.withColumn("hits", F.struct(F.size("_w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))).drop("_w")
+        return docs.withColumn("hits", none)
     candidates = staged(candidates.distinct(), f"{tag}-candidates")
+    ids = staged(candidates.select("id").distinct(), f"{tag}-ids")
+    if ids.count() > BROADCAST_IDS:
+        return _verified(docs, candidates, windows, doc_id, text)
+    ids = F.broadcast(ids)  # so only the texts with candidates are moved
+    same = docs[doc_id].eqNullSafe(ids["id"])
+    return _verified(docs.join(ids, same, "left_semi"), candidates, windows, doc_id, text).unionByName(docs.join(ids, same, "left_anti").withColumn("hits", none))
+
+
+def _verified(docs: DataFrame, candidates: DataFrame, windows: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Candidates compared with the words of their texts; what agrees makes the ``hits``."""
     full = candidates.join(windows, "wid").groupBy("id").agg(F.collect_list(F.struct("start", "words", "items")).alias("_c"))
-    if candidates.count() <= BROADCAST_CANDIDATES:
-        full = F.broadcast(full)
-    joined = rows.join(full, rows[doc_id].eqNullSafe(full["id"]), "left").drop("id")
+    joined = docs.join(full, docs[doc_id].eqNullSafe(full["id"]), "left").drop("id").withColumn("_w", words_of(F.col(text)))
     true = F.filter(F.coalesce("_c", F.array().cast(full.schema["_c"].dataType)), lambda c: F.slice("_w", c["start"] + 1, F.size(c["words"])) == c["words"])
     joined = joined.withColumn("_c", true)
     spans = F.array_sort(F.transform("_c", lambda c: F.struct(c["start"].alias("s"), (c["start"] + F.size(c["words"])).alias("e"))))

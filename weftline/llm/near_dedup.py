@@ -11,10 +11,12 @@ linked.
   from the texts, which are sent once to the partition of the class they are compared with; a class
   that many others are compared with is salted, so no task gets an unbounded group.
 * Components of the confirmed links are found.  A bucket whose classes are in one component is done.
-  In the others, two more rounds compare representatives of the components, and a last round compares
-  all pairs of its classes that are still in different components and were not compared before; the
-  signatures (a byte of each minimum) rule out those that can't be linked.  So large groups of copies
-  cost one comparison for each member, and no link between components is lost.
+  In the others, another round compares representatives of the components, and a last round compares
+  the pairs of their classes that are still in different components, were not compared before, and can
+  be linked at all.  What can't be is told by the shingles that a class shares with no other class of
+  these buckets: if x has n shingles, u of them its own, then an intersection has at most n - u, and
+  the union at least those of the other and u.  The signatures (a byte of each minimum) rule out more.
+  So large groups of copies cost one comparison for each member, and no link between components is lost.
 
 Banding misses a pair at the threshold with probability (1 - 0.85**5)**24 < 1e-6.
 
@@ -164,9 +166,9 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int, salt: int = 500)
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose signatures don't rule out a link (six standard deviations below the threshold)."""
+    """Pairs whose signatures don't rule out a link (five standard deviations below the threshold)."""
     n, t = BANDS * WIDTH, percent / 100
-    least = n * t - 6 * (n * t * (1 - t)) ** 0.5
+    least = n * t - 5 * (n * t * (1 - t)) ** 0.5
     marks = classes.select("rep", "marks")
     both = pairs.join(marks.withColumnsRenamed({"rep": "a", "marks": "a_marks"}), "a").join(marks.withColumnsRenamed({"rep": "b", "marks": "b_marks"}), "b")
 
@@ -178,12 +180,34 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(estimate, "a long, b long, a_key long, b_key long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text", stars: int = 2) -> DataFrame:
+def own_shingles(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, key, n, u) of classes: their sizes, and how many shingles no other of these classes has."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text", 1 << 20):
+                kept: list[np.ndarray] = []
+                counts = np.zeros(part.num_rows, np.int64)
+                for i, (key, x) in enumerate(zip(part.column("key").to_pylist(), shingle_sets(part.column("text")), strict=True)):
+                    with np.errstate(over="ignore"):
+                        if int(np.add.reduce(rolling.mix(x ^ np.uint64(0x51))).view(np.int64)) == key:
+                            kept.append(x)
+                            counts[i] = len(x)
+                rep, key = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), counts) for c in ("rep", "key"))
+                yield record("rep long, key long, shingle long", [rep, key, np.concatenate([np.zeros(0, np.uint64), *kept]).view(np.int64)])
+
+    rows = docs.join(_small(classes), F.col("doc_id") == F.col("rep")).select("rep", "key", "text").groupBy("rep", "key").agg(F.first("text").alias("text"))
+    found = rows.mapInArrow(emit, "rep long, key long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.first(F.struct("rep", "key")).alias("x"))
+    alone = found.filter("n = 1").groupBy("x").agg(F.count("*").alias("u"))
+    return alone.select("x.rep", "x.key", "u")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text", stars: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = staged(signatures(rows), "signatures")
     named = signed.filter("doc_id is not null and n_shingles > 0")
-    classes = staged(named.groupBy("key", "more").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
+    classes = staged(named.groupBy("key", "more").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
     banded = classes.select("rep", "key", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min_by(F.struct("rep", "key"), "rep").alias("c")).filter("n > 1")
     members = staged(banded.join(buckets.select("band", "c"), "band").select("band", "rep", "key", F.col("c.rep").alias("center"), F.col("c.key").alias("center_key")), "members")
@@ -216,8 +240,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
             two = own.join(middle, "band").filter("x.rep <> c.rep")
             x, y = F.col("x"), F.col("c")
         else:
-            left, right = placed.select("band", F.struct("rep", "key").alias("x"), F.col("root").alias("r")), placed.select("band", F.struct("rep", "key").alias("c"), F.col("root").alias("s"))
-            two = left.join(right, "band").filter("r < s")
+            alone = own_shingles(rows, staged(placed.select("rep", "key").distinct(), "unsettled"))
+            told = staged(placed.join(alone, ["rep", "key"], "left").join(classes.select("rep", "key", "n"), ["rep", "key"]).withColumn("u", F.coalesce("u", F.lit(0))), "told")
+            left = told.select("band", F.struct("rep", "key").alias("x"), F.col("root").alias("r"), F.col("n").alias("xn"), F.col("u").alias("xu"))
+            right = told.select("band", F.struct("rep", "key").alias("c"), F.col("root").alias("s"), F.col("n").alias("cn"), F.col("u").alias("cu"))
+            two = left.join(right, "band").filter(f"r < s and 100 * least(xn - xu, cn - cu) >= {percent} * greatest(xn + cu, cn + xu)")
             x, y = F.col("x"), F.col("c")
         low = F.when(x["rep"] < y["rep"], x).otherwise(y)
         high = F.when(x["rep"] < y["rep"], y).otherwise(x)

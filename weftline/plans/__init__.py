@@ -1 +1 @@
-
+"""What to run and in which order: selection, prior state and scheduling order."""

@@ -1 +1 @@
-
+"""The engine has one-shot batch commands only; there are no streaming operators."""
