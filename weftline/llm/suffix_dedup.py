@@ -221,12 +221,13 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     runs = staged(docs.mapInArrow(scan, RUN), "runs")
     ranges = []
     for width in (*WIDTHS, 0):
-        again = runs.groupBy("key").agg(F.sum("n").alias("t")).filter("t > 1").select("key")
+        # sums by key are written before they are joined, so that adaptive execution can split a key with very many runs
+        again = staged(runs.groupBy("key").agg(F.sum("n").alias("t")).filter("t > 1").select("key"), "again")
         live = staged(runs.join(again, "key", "left_semi"), "live")
         kinds = staged(live.groupBy("key", "context").agg(F.sum("n").alias("c"), F.min(F.struct("uid", "s1", "s2", "anchor")).alias("r")), "contexts")
         whole = live.filter("n = 1").join(kinds.filter("c > 1").select("key", "context"), ["key", "context"])
         ranges.append(whole.select("uid", F.col("s1").alias("start"), (F.col("s2") + length).alias("end")))
-        mixed = kinds.groupBy("key").agg(F.count("*").alias("k"), F.min("c").alias("low")).filter("k > 1 and low = 1").select("key", "k")
+        mixed = staged(kinds.groupBy("key").agg(F.count("*").alias("k"), F.min("c").alias("low")).filter("k > 1 and low = 1").select("key", "k"), "mixed")
         left = staged(kinds.join(mixed, "key").select("r.*", "key", F.least("c", F.lit(2)).cast("long").alias("n"), "k"), "left")
         few, many = (left.filter(x).drop("k") for x in (f"k <= {crowd}", f"k > {crowd}"))
         ranges.append(_compare(docs, few, length))
