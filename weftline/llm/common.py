@@ -39,6 +39,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """``rows`` (doc_id long, ...) with a ``uid`` that is there once, and whether that is the doc_id itself.
+
+    If ids repeat or are null, rows are numbered and written, so that every later pass sees the same numbers.
+    """
+    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        return rows.withColumn("uid", F.col("doc_id")), True
+    return staged(rows.withColumn("uid", F.monotonically_increasing_id()), "numbered"), False
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` has not, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for k in range(len(taken) + 1) if (x := f"_{name}{k or ''}") not in taken) for name in names]
+
+
 def spread(spark: SparkSession) -> int:
     """Partition count for explicit repartitioning: what the session uses for its shuffles."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -6,23 +6,28 @@ linked.
 
 * Every text gives its set's size, a 128-bit digest of the set, and ``bands`` hashes of ``width``
   minima each (one pass; nothing else of the set is kept).  Equal sets are one class from here on.
-* Classes that share a band hash are candidates.  Each class is first compared with one other: the
-  smallest class of its buckets that it shares most of them with.  Links are confirmed on the full sets, built anew
-  from the texts, which are sent once to the partition of the class they are compared with; a class
-  that many others are compared with is salted, so no task gets an unbounded group.
-* Components of the confirmed links are found.  A bucket whose classes are in one component is done.
-  In the others, another round compares representatives of the components, and a last round compares
-  the pairs of their classes that are still in different components, were not compared before, and can
-  be linked at all.  What can't be is told by the shingles that a class shares with no other class of
-  these buckets: if x has n shingles, u of them its own, then an intersection has at most n - u, and
-  the union at least those of the other and u.  The signatures (a byte of each minimum) rule out more.
-  So large groups of copies cost one comparison for each member, and no link between components is lost.
-
-Banding misses a pair at the threshold with probability (1 - 0.85**5)**24 < 1e-6.
+* Classes that share a band hash are candidates.  Each class is compared with the smallest class of
+  each of its buckets: pairs whose signatures (a byte of each minimum) agree far too seldom go, the
+  others are confirmed on the full sets, built anew from the texts, which are sent to the partition of
+  the class they are compared with; a class that many others are compared with is salted, so no task
+  gets an unbounded group.  Components of the confirmed links are found.
+* A bucket is settled if its classes, but for the smallest, are in one component.  Of the classes of
+  the other buckets, those that can be linked with none of them go: with n shingles, u of them in no
+  other of these classes, an intersection has at most n - u and the union at least n.  What is left
+  are families of near copies that aren't linked with their smallest member.  A family is cut into
+  chunks of about ``CHUNK_ROWS`` classes or ``CHUNK_SHINGLES`` shingles, and each two chunks are
+  compared in a task of their own, by products of 0/1 matrices, on the full sets.  Only links that
+  join components leave a task, so nothing is emitted for each pair; the classes sent grow with the
+  size of a family times its chunks.  No link is lost here: nothing is estimated.
+
+Two chances of losing a link remain.  Banding misses a pair at the threshold with probability
+(1 - 0.85**5)**24 < 1e-6, and the signature check drops it five standard deviations below the
+threshold (3e-7); of 120 minima of a linked pair 102 agree on average, and at least 83 are asked for.
 
 Null and empty texts have size 0 and are linked with nothing.  Rows without a doc_id are linked with
-nothing, have no component and are kept.  Repeated rows are in one component; all rows of the smallest id
-are kept.  Extra columns are ignored.
+nothing, have no component and are kept.  Rows that share a doc_id are linked by their texts alone; a
+component is named by the smallest doc_id in it.  Texts of any length are whole in one task's memory,
+one at a time but for a comparison's chunk.  An empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import rolling
-from weftline.llm.common import pieces, record, spread, staged
+from weftline.llm.common import fresh, numbered, pieces, record, spread, staged
 from weftline.llm.components import components
 
 WORDS, BANDS, WIDTH = 5, 24, 5
@@ -45,6 +50,12 @@ _B = _draw.integers(0, 1 << 64, BANDS * WIDTH, dtype=np.uint64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: lists of ids up to this length may be broadcast (16 bytes each and little more)
 BROADCAST_ROWS = 1_000_000
+#: a chunk of a family has about so many classes, or shingles, whichever comes first
+CHUNK_ROWS, CHUNK_SHINGLES = 800, 400_000
+#: texts that one partition of the comparisons with a bucket's smallest class gets, on average at most
+SALT = 100
+#: columns of the 0/1 matrices at a time
+_SLICE = 4096
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -97,15 +108,15 @@ def band_hashes(least: np.ndarray) -> np.ndarray:
     return h
 
 
-SIGNATURE = "doc_id long, n_shingles long, key long, more long, bands array<long>, marks binary"
+SIGNATURE = "uid long, n_shingles long, key long, more long, bands array<long>, marks binary"
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Size, digest (two longs), band hashes and a byte of each minimum for every row."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """Size, digest (two longs), band hashes and a byte of each minimum for every row of (uid, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            for part in pieces(batch, "text", 1 << 20):
                 sets = shingle_sets(part.column("text"))
                 least = np.stack([minima(x) for x in sets])
                 bands = band_hashes(least).view(np.int64)
@@ -116,12 +127,11 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                     more = np.array([np.add.reduce(rolling.mix(x * _STEP)) for x in sets], np.uint64)
                 marks = (least >> np.uint64(56)).astype(np.uint8) ^ (least >> np.uint64(40)).astype(np.uint8)
                 yield record(SIGNATURE, {
-                    "doc_id": part.column("doc_id"), "n_shingles": [len(x) for x in sets], "key": key.view(np.int64), "more": more.view(np.int64),
+                    "uid": part.column("uid"), "n_shingles": [len(x) for x in sets], "key": key.view(np.int64), "more": more.view(np.int64),
                     "bands": pa.ListArray.from_arrays(pa.array(where), pa.array(bands[filled].ravel())), "marks": [m.tobytes() for m in marks],
                 })
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, key long, more long, bands array<long>, marks binary")
+    return docs.select("uid", "text").mapInArrow(sign, SIGNATURE)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -129,152 +139,218 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int, salt: int = 500) -> DataFrame:
-    """The pairs (a, b) that are linked; ``pairs`` is staged and has the digests of both classes.
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose signatures don't rule out a link (five standard deviations below the threshold)."""
+    n, t = BANDS * WIDTH, percent / 100
+    least = n * t - 5 * (n * t * (1 - t)) ** 0.5
+    marks = classes.select("rep", "marks")
+    both = pairs.join(marks.withColumnsRenamed({"rep": "a", "marks": "a_marks"}), "a").join(marks.withColumnsRenamed({"rep": "b", "marks": "b_marks"}), "b")
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, n) for c in ("a_marks", "b_marks"))
+            yield batch.filter(pa.array((x == y).sum(axis=1) >= least)).select(["a", "b"])
+
+    return both.mapInArrow(estimate, "a long, b long")
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are linked."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked, on the full sets; ``pairs`` is staged.
 
     The text of b goes to the partition of a and a salt; a's text goes to each of its salts.
     """
-    n = spread(docs.sparkSession)
-    salts = pairs.groupBy("a", "a_key").agg(F.ceil(F.count("*") / salt).cast("int").alias("salts"))
-    sent = pairs.join(salts, ["a", "a_key"]).select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("doc_id"), F.col("b_key").alias("key"), F.lit(1).alias("role"))
-    own = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("doc_id"), F.col("a_key").alias("key"), F.lit(0).alias("role"))
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+    sent = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("uid"), F.lit(1).alias("role"))
+    own = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("uid"), F.lit(0).alias("role"))
     roles = _small(staged(sent.union(own), "roles"))
-    rows = docs.join(roles, "doc_id").select("a", "salt", "role", "doc_id", "key", "text")
+    rows = docs.join(roles, "uid").select("a", "salt", "role", "uid", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, first = None, None
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
-                sets = shingle_sets(part.column("text"))
-                columns = [part.column(c).to_pylist() for c in ("a", "salt", "role", "doc_id", "key")]
-                linked = []
-                for a, s, role, b, key, x in zip(*columns, sets, strict=True):
-                    with np.errstate(over="ignore"):  # another row of the same id has another set
-                        if int(np.add.reduce(rolling.mix(x ^ np.uint64(0x51))).view(np.int64)) != key:
-                            continue
+            for part in pieces(batch, "text", 1 << 20):
+                found = []
+                columns = [part.column(c).to_pylist() for c in ("a", "salt", "role", "uid")]
+                for a, s, role, b, x in zip(*columns, shingle_sets(part.column("text")), strict=True):
                     if not role:
                         group, first = (a, s), x
-                    elif group == (a, s):
-                        if 100 * min(len(x), len(first)) >= percent * max(len(x), len(first)):
-                            both = len(np.intersect1d(first, x, assume_unique=True))
-                            if 100 * both >= percent * (len(x) + len(first) - both):
-                                linked.append((a, b))
-                yield record("a long, b long", [[x for x, _ in linked], [x for _, x in linked]])
+                    elif group == (a, s) and linked(first, x, percent):
+                        found.append((a, b))
+                yield record("a long, b long", [[x for x, _ in found], [x for _, x in found]])
 
-    dealt = rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    dealt = rows.repartition(spread(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "role")
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose signatures don't rule out a link (five standard deviations below the threshold)."""
-    n, t = BANDS * WIDTH, percent / 100
-    least = n * t - 5 * (n * t * (1 - t)) ** 0.5
-    marks = classes.select("rep", "marks")
-    both = pairs.join(marks.withColumnsRenamed({"rep": "a", "marks": "a_marks"}), "a").join(marks.withColumnsRenamed({"rep": "b", "marks": "b_marks"}), "b")
+def own_shingles(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, u): how many shingles no other of these classes has, where there are any; ``classes`` is staged."""
 
-    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, n) for c in ("a_marks", "b_marks"))
-            yield batch.filter(pa.array((x == y).sum(axis=1) >= least)).select(["a", "b", "a_key", "b_key"])
+            for part in pieces(batch, "text", 1 << 20):
+                sets = shingle_sets(part.column("text"))
+                yield record("rep long, shingle long", [np.repeat(part.column("uid").to_numpy(), [len(x) for x in sets]), np.concatenate(sets).view(np.int64)])
+
+    rows = docs.join(_small(classes.withColumnRenamed("rep", "uid")), "uid").select("uid", "text")
+    found = rows.mapInArrow(emit, "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+    return found.filter("n = 1").groupBy("rep").agg(F.count("*").alias("u"))
+
+
+def joining(first: list[tuple], second: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between (rep, root, set) of two chunks that join components, or within one if the second is empty."""
+    rows, other = first, second or first
+    mine, theirs = (np.concatenate([x for _, _, x in side]) for side in (rows, other))
+    shared = np.intersect1d(mine, theirs)
+    if not second:  # within a chunk: what two have at least
+        shared, many = np.unique(mine, return_counts=True)
+        shared = shared[many > 1]
+
+    def places(side: list[tuple], sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(side)), [len(x) for _, _, x in side])
+        at = np.minimum(np.searchsorted(shared, sets), len(shared) - 1)
+        hit = shared[at] == sets
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], owner[hit][order]
+
+    if not len(shared):
+        return []
+    (a_at, a_of), (b_at, b_of) = places(rows, mine), places(other, theirs)
+    both = np.zeros((len(rows), len(other)), np.float32)
+    for low in range(0, len(shared), _SLICE):
+        flags = []
+        for side, at, of in ((rows, a_at, a_of), (other, b_at, b_of)):
+            part = slice(*np.searchsorted(at, (low, low + _SLICE)))
+            flags.append(np.zeros((len(side), min(_SLICE, len(shared) - low)), np.float32))
+            flags[-1][of[part], at[part] - low] = 1
+        both += flags[0] @ flags[1].T
+    n, m = (np.array([len(x) for _, _, x in side], np.float64) for side in (rows, other))
+    apart = np.array([r for _, r, _ in rows])[:, None] != np.array([r for _, r, _ in other])
+    found = []
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for i, j in np.argwhere((100 * both >= percent * (n[:, None] + m - both)) & apart):
+        x, y = find(rows[i][1]), find(other[j][1])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            found.append((rows[i][0], other[j][0]))
+    return found
 
-    return both.mapInArrow(estimate, "a long, b long, a_key long, b_key long")
 
+def families(opened: DataFrame) -> DataFrame:
+    """(rep, family): classes that are tied by buckets; ``opened`` is staged."""
+    centers = opened.groupBy("band").agg(F.min("rep").alias("low"))
+    return components(opened.join(centers, "band").select("rep", "low")).withColumnsRenamed({"node": "rep", "root": "family"})
 
-def own_shingles(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rep, key, n, u) of classes: their sizes, and how many shingles no other of these classes has."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def joining_links(docs: DataFrame, opened: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components of the classes of ``opened`` (band, rep, root, n), which is staged."""
+    named = opened.select("rep", "root", "n").distinct().join(families(opened), "rep")
+    named = staged(named, "families")
+    sizes = named.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"), F.min("root").alias("low"), F.max("root").alias("high"))
+    chunk = named.join(sizes.filter("low <> high").select("family", "chunks"), "family").withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
+    dealt = chunk.select(F.col("rep").alias("uid"), "root", "family", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select("uid", "root", "family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))
+    dealt = _small(staged(dealt, "blocks"))
+    rows = docs.join(dealt, "uid").select("family", "i", "j", "side", "uid", "root", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, ([], [])
+
+        def links() -> pa.RecordBatch:
+            found = joining(*held, percent) if held[0] and (held[1] or block[1] == block[2]) else []
+            return record("a long, b long", [[x for x, _ in found], [x for _, x in found]])
+
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
-                kept: list[np.ndarray] = []
-                counts = np.zeros(part.num_rows, np.int64)
-                for i, (key, x) in enumerate(zip(part.column("key").to_pylist(), shingle_sets(part.column("text")), strict=True)):
-                    with np.errstate(over="ignore"):
-                        if int(np.add.reduce(rolling.mix(x ^ np.uint64(0x51))).view(np.int64)) == key:
-                            kept.append(x)
-                            counts[i] = len(x)
-                rep, key = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), counts) for c in ("rep", "key"))
-                yield record("rep long, key long, shingle long", [rep, key, np.concatenate([np.zeros(0, np.uint64), *kept]).view(np.int64)])
-
-    rows = docs.join(_small(classes), F.col("doc_id") == F.col("rep")).select("rep", "key", "text").groupBy("rep", "key").agg(F.first("text").alias("text"))
-    found = rows.mapInArrow(emit, "rep long, key long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.first(F.struct("rep", "key")).alias("x"))
-    alone = found.filter("n = 1").groupBy("x").agg(F.count("*").alias("u"))
-    return alone.select("x.rep", "x.key", "u")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text", stars: int = 1) -> DataFrame:
+                columns = [part.column(c).to_pylist() for c in ("family", "i", "j", "side", "uid", "root")]
+                for family, i, j, side, uid, root, x in zip(*columns, shingle_sets(part.column("text")), strict=True):
+                    if block != (family, i, j):
+                        if block:
+                            yield links()
+                        block, held = (family, i, j), ([], [])
+                    held[side].append((uid, root, x))
+        if block:
+            yield links()
+
+    return rows.repartition(spread(docs.sparkSession), "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(compare, "a long, b long")
+
+
+def _rooted(df: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``df`` with the component ``root`` of its ``rep``, which is its own if it has no link."""
+    if roots is None:
+        return df.withColumn("root", F.col("rep"))
+    return df.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = staged(signatures(rows), "signatures")
-    named = signed.filter("doc_id is not null and n_shingles > 0")
-    classes = staged(named.groupBy("key", "more").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
-    banded = classes.select("rep", "key", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min_by(F.struct("rep", "key"), "rep").alias("c")).filter("n > 1")
-    members = staged(banded.join(buckets.select("band", "c"), "band").select("band", "rep", "key", F.col("c.rep").alias("center"), F.col("c.key").alias("center_key")), "members")
-
-    votes = members.filter("rep <> center").groupBy("rep", "key", "center", "center_key").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("rep", "key").agg(F.max_by(F.struct("center", "center_key"), F.struct("votes", -F.col("center"))).alias("c"))
-    pairs = best.select(F.col("c.center").alias("a"), F.col("rep").alias("b"), F.col("c.center_key").alias("a_key"), F.col("key").alias("b_key"))
-
-    links = compared = roots = None
-    for turn in range(stars + 2):
-        pairs = staged(pairs, "pairs")
-        if not pairs.isEmpty():
-            found = staged(confirmed(rows, pairs, percent), "links")
-            links = found if links is None else links.union(found)
-            compared = pairs.select("a", "b") if compared is None else compared.union(pairs.select("a", "b"))
-            roots = staged(components(links), "roots")
-        elif turn == 0 or turn > stars:
-            break
-        if turn > stars:
-            break
-        placed = members.select("band", "rep", "key").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        open_bands = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-        placed = staged(placed.join(open_bands, "band"), "open")
-        if placed.isEmpty():
-            break
-        if turn < stars:  # a representative of each component, drawn anew, with that of the first one
-            drawn = F.xxhash64("rep", F.lit(turn))
-            own = placed.groupBy("band", "root").agg(F.min_by(F.struct("rep", "key"), drawn).alias("x"))
-            middle = own.groupBy("band").agg(F.min_by("x", "root").alias("c"))
-            two = own.join(middle, "band").filter("x.rep <> c.rep")
-            x, y = F.col("x"), F.col("c")
-        else:
-            alone = own_shingles(rows, staged(placed.select("rep", "key").distinct(), "unsettled"))
-            told = staged(placed.join(alone, ["rep", "key"], "left").join(classes.select("rep", "key", "n"), ["rep", "key"]).withColumn("u", F.coalesce("u", F.lit(0))), "told")
-            left = told.select("band", F.struct("rep", "key").alias("x"), F.col("root").alias("r"), F.col("n").alias("xn"), F.col("u").alias("xu"))
-            right = told.select("band", F.struct("rep", "key").alias("c"), F.col("root").alias("s"), F.col("n").alias("cn"), F.col("u").alias("cu"))
-            two = left.join(right, "band").filter(f"r < s and 100 * least(xn - xu, cn - cu) >= {percent} * greatest(xn + cu, cn + xu)")
-            x, y = F.col("x"), F.col("c")
-        low = F.when(x["rep"] < y["rep"], x).otherwise(y)
-        high = F.when(x["rep"] < y["rep"], y).otherwise(x)
-        two = two.select(low.alias("x"), high.alias("y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.key").alias("a_key"), F.col("y.key").alias("b_key")).distinct()
-        pairs = _possible(two.join(compared, ["a", "b"], "left_anti"), classes, percent)
-
-    reps = classes.select("key", "more", "rep")
-    if roots is not None:
-        reps = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "more", F.coalesce("root", "rep").alias("root"))
+    rows, once = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    signed = staged(signatures(rows.filter("doc_id is not null")), "signatures")
+    groups = signed.filter("n_shingles > 0").groupBy("key", "more")
+    classes = staged(groups.agg(F.min("uid").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
+    banded = classes.select("rep", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("center")).filter("n > 1").select("band", "center")
+    members = staged(banded.join(buckets, "band").filter("rep <> center"), "members")
+    pairs = staged(possible(members.select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), classes, percent), "pairs")
+    roots = links = None
+    if not pairs.isEmpty():
+        links = staged(confirmed(rows, pairs, percent), "links")
+        roots = components(links)
+
+    def unsettled(placed: DataFrame) -> DataFrame:
+        """Classes of buckets that hold several components (the smallest class of a bucket has been compared)."""
+        mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
+        return staged(placed.join(mixed, "band"), "unsettled")
+
+    opened = unsettled(_rooted(members.select("band", "rep"), roots))
+    if not opened.isEmpty():
+        alone = own_shingles(rows, staged(opened.select("rep").distinct(), "open"))
+        told = opened.join(classes.select("rep", "n"), "rep").join(alone, "rep", "left")
+        opened = unsettled(told.filter(f"100 * (n - coalesce(u, 0)) >= {percent} * n").select("band", "rep", "root", "n"))
+        if not opened.isEmpty():
+            more = staged(joining_links(rows, opened, percent), "more-links")
+            roots = components(more if links is None else links.union(more))
+
+    reps = _rooted(classes.select("key", "more", "rep"), roots).select("key", "more", "root")
+    tied = signed.filter("n_shingles > 0").select("uid", "n_shingles", "key", "more").join(reps, ["key", "more"]).select("uid", "n_shingles", "root")
+    found = tied.union(signed.filter("n_shingles = 0").select("uid", "n_shingles", F.col("uid").alias("root")))
+    if once:
+        named = found.select(F.col("uid").alias("doc_id"), "n_shingles", F.col("root").alias("component_id"))
     else:
-        reps = reps.withColumnRenamed("rep", "root")
-    keyed = signed.select("doc_id", "n_shingles", "key", "more")
-    loose = "doc_id is null or n_shingles = 0"
-    tied = keyed.filter(f"not ({loose})").join(reps, ["key", "more"]).select("doc_id", "n_shingles", F.col("root").alias("component_id"))
-    alone = keyed.filter(loose).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return tied.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        whose = staged(found.join(rows.select("uid", "doc_id"), "uid"), "named")
+        named = whose.join(whose.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "n_shingles", "component_id")
+        nameless = rows.filter("doc_id is null").withColumnRenamed("doc_id", "component_id")
+        named = named.union(signatures(nameless).select(F.lit(None).cast("long"), "n_shingles", F.lit(None).cast("long")))
+    return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def without_copies(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with one row of each group: that of the smallest id.
 
-    Where rows of one group share that id, the one with the smallest text and then the first by the
-    hash of its other columns stays (of wholly equal rows, any one).  Rows without an id stay.
+    Where rows share that id, the one with the smallest text and then the smallest hash of its other
+    columns stays (of wholly equal rows, any one).  Rows without an id stay, with all their columns.
     """
     found = staged(near_duplicates(docs, percent, doc_id, text), "groups")
-    gone = _small(staged(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
-    left = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    twice = staged(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_twice")), "twice")
-    if twice.isEmpty():
+    gone, twice, row, place = fresh(docs, "gone", "twice", "row", "place")
+    copies = _small(staged(found.filter("not kept").select(F.col("doc_id").alias(gone)).distinct(), "gone"))
+    left = docs.join(copies, F.col(doc_id) == F.col(gone), "left_anti")
+    again = staged(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(twice)), "twice")
+    if again.isEmpty():
         return left
-    again = left.join(_small(twice), F.col(doc_id) == F.col("_twice"), "left_semi")
-    one = again.withColumn("_n", F.expr(f"row_number() over (partition by {doc_id} order by {text} nulls last, xxhash64(*))")).filter("_n = 1").drop("_n")
-    return left.join(_small(twice), F.col(doc_id) == F.col("_twice"), "left_anti").unionByName(one)
+    same = F.col(doc_id) == F.col(twice)
+    packed = left.join(_small(again), same, "left_semi").select(F.col(doc_id).alias(place), F.struct(F.col(text), F.xxhash64(*left.columns), F.struct(*left.columns)).alias(row))
+    one = packed.groupBy(place).agg(F.min(row).alias(row)).select(f"{row}.col3.*")
+    return left.join(_small(again), same, "left_anti").unionByName(one)
