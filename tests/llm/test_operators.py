@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import common, decontaminate, fingerprints, labelled, license_scan, mixing, near_dedup, pii, quality, queries, suffix_dedup, token_counts, toxicity
+from weftline.llm import common, components, decontaminate, fingerprints, labelled, license_scan, mixing, near_dedup, pii, quality, queries, rolling, suffix_dedup, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shingle string, place long, u long, key long"
 SF = "/root/testdata/sf0.01"
@@ -163,7 +165,7 @@ def test_crowded_buckets_lose_no_repeat(spark, crowd):
     spans = defaultdict(list)
     for r in suffix_dedup.repeated_ranges(rows, crowd=crowd).collect():
         spans[r.uid].append((r.start, r.end))
-    got = [sum(e - s for s, e in suffix_dedup.merged(spans[i])) for i in range(1, len(texts) + 1)]
+    got = [sum(e - s for s, e in suffix_dedup.merged(*np.array(spans[i], np.int64).reshape(-1, 2).T)) for i in range(1, len(texts) + 1)]
     assert got == [w[1] for w in removed(texts, 400)] and any(got)
 
 
@@ -173,6 +175,31 @@ def test_repeated_and_null_ids_repeat_each_other(spark):
     assert sorted(r.n_removed for r in got) == [0, len(text.encode()), len(text.encode())]
 
 
+def test_a_very_long_text_of_one_letter_is_one_range(spark):
+    docs = table(spark, ["a" * 5_000_000, "b" * 399, "ab" * 300, None])
+    began = time.monotonic()
+    got = [(r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs).orderBy("doc_id").collect()]
+    assert got == [(5_000_000, 5_000_000, 1), (399, 0, 0), (600, 600, 1), (0, 0, 0)]
+    assert time.monotonic() - began < 60
+
+
+def test_segments_of_a_long_text_lose_no_repeat(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1000)
+    draw = random.Random(9)
+    passage = prose(draw, 200)
+    texts = [prose(draw, 900) + passage + prose(draw, 700), passage + prose(draw, 10), prose(draw, 800) + passage * 2]
+    spans = defaultdict(list)
+    rows = table(spark, texts).select(F.col("doc_id").alias("uid"), "text")
+    for batch in [pa.RecordBatch.from_pylist([{"uid": r.uid, "text": r.text}]) for r in rows.collect()]:
+        whole = suffix_dedup.runs_of(*rolling.buffers(batch.column("text")))
+        starts = sorted(x for uid, base, data, offsets in suffix_dedup._segments(batch, 400) for a, b in zip(*[y + base[0] for y in suffix_dedup.runs_of(data, offsets)[1:3]], strict=True) for x in range(a, b + 1))
+        assert starts == sorted(x for a, b in zip(whole[1], whole[2], strict=True) for x in range(a, b + 1))  # every suffix is in one run
+    for r in suffix_dedup.repeated_ranges(rows).collect():
+        spans[r.uid].append((r.start, r.end))
+    got = [sum(e - s for s, e in suffix_dedup.merged(*np.array(spans[i], np.int64).reshape(-1, 2).T)) for i in (1, 2, 3)]
+    assert got == [w[1] for w in removed(texts, 400)] and all(got)
+
+
 # 4
 
 
@@ -286,6 +313,59 @@ def test_near_duplicates_equal_brute_force(spark, nothing, seed):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [3, 800])
+def test_families_of_near_copies_lose_no_link(spark, monkeypatch, chunk):
+    """Copies of a text that is not there itself: few are linked with the smallest, many with one another."""
+    monkeypatch.setattr(near_dedup, "CHUNK_ROWS", chunk)
+    draw = random.Random(chunk)
+    texts = []
+    for _ in range(3):
+        base = prose(draw, 200).split(" ")
+        for _ in range(40):
+            own = list(base)
+            for k in draw.sample(range(200), draw.randint(1, 5)):
+                own[k] = prose(draw, 1) + "x"
+            texts.append(" ".join(own))
+    draw.shuffle(texts)
+    got = by_id(near_dedup.near_duplicates(table(spark, texts)))
+    _, roots = groups(texts)
+    assert [got[i + 1].component_id for i in range(len(texts))] == [r + 1 for r in roots]
+    assert 1 < len(set(roots)) < len(texts)
+
+
+def test_joined_components_equal_all_pairs():
+    draw = np.random.default_rng(2)
+    sets = [np.sort(draw.choice(60, draw.integers(20, 40), replace=False)).astype(np.uint64) for _ in range(40)]
+    sets += [np.union1d(x[2:], [np.uint64(99)]) for x in sets[:20]]
+    rows = [(i, i, x) for i, x in enumerate(sets)]
+    pairs = {(i, j) for i, _, x in rows for j, _, y in rows if i < j and near_dedup.linked(x, y, 85)}
+    found = near_dedup.joining(rows, [], 85)
+    assert pairs and {tuple(sorted(p)) for p in found} <= pairs
+    ends = lambda links: {frozenset(g) for g in _merged(links)}
+    assert ends(found) == ends(pairs)
+    assert ends(near_dedup.joining(rows[:30], rows[30:], 85)) == ends({p for p in pairs if p[0] < 30 <= p[1]})
+
+
+def _merged(links):
+    out: list[set] = []
+    for a, b in links:
+        met = [g for g in out if a in g or b in g]
+        out = [g for g in out if g not in met] + [{a, b}.union(*met)]
+    return out
+
+
+def test_rows_that_share_an_id_are_linked_by_their_texts_alone(spark):
+    texts = ["a b c d e f", "g h i j k l", "a b c d e f", "g h i j k l", "", None, "z z", "z z"]
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(table(spark, texts, [7, 7, 9, 8, 7, 7, None, None])).collect()]
+    assert sorted(got, key=str) == sorted([(7, 2, 7, True), (7, 2, 7, True), (9, 2, 7, False), (8, 2, 7, False), (7, 0, 7, True), (7, 0, 7, True), (None, 1, None, True), (None, 1, None, True)], key=str)
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 90)] + [(200, 150), (5, 5), (200, 150)], "a long, b long")
+    got = {r.node: r.root for r in components.components(edges).collect()}
+    assert got == {i: 0 for i in range(91)} | {150: 150, 200: 150}
+
+
 def test_one_row_of_each_group_stays(spark):
     texts = ["a b c d e f", "a b c d e f", "a b c d e f", "", None, "z"]
     left = near_dedup.without_copies(table(spark, texts, [7, 7, 9, 10, 11, None]))
