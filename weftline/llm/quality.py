@@ -1,12 +1,14 @@
 """Quality by supervised subword embeddings, trained by stochastic gradient descent in numpy.
 
 A document is the mean of the vectors of its features: white-space tokens (case and punctuation kept),
-their character n-grams, and pairs of equal neighbours; all hashed into one table.  A softmax over the
-classes follows.  Since mean and output layer are linear, scoring needs one number for each feature.
-
-The fit uses at most ``rows`` labelled documents of at most ``longest`` bytes (documented bounds);
-scoring covers every row and whole texts.  Texts without tokens get the score of the output layer's
-bias.  Repeated rows are scored each; extra columns are ignored.
+their character n-grams (whole characters of any width), and pairs of neighbouring tokens; all hashed
+into one table.  A softmax over the classes follows.  Since mean and output layer are linear, scoring
+needs one number for each feature.
+
+The fit uses at most ``rows`` labelled documents (a documented bound); scoring covers every row and
+whole texts, however long.  Texts without tokens, null ones too, get the score of the output layer's
+bias.  Repeated rows are scored each; null ids are not held out.  An empty table gives no rows.  Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,19 +37,22 @@ def hashed_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(counts))
     own = rolling.spans(sums, starts, ends)
     places, texts = [own >> size], [text]
-    same = np.flatnonzero((own[1:] == own[:-1]) & (text[1:] == text[:-1])) + 1
-    places.append(rolling.mix(np.full(len(same), _PAIR, np.uint64)) >> size)
-    texts.append(text[same])
-    room = np.zeros(len(data), np.int32)  # bytes from here to the end of the token, 0 outside
+    near = np.flatnonzero(text[1:] == text[:-1])
+    places.append(rolling.mix(own[near] * _PAIR + own[near + 1]) >> size)
+    texts.append(text[near])
     lengths = ends - starts
     inside = np.repeat(starts, lengths) + _within(lengths)
-    room[inside] = np.repeat(ends, lengths) - inside
-    owner = np.repeat(text, lengths)
+    token = np.repeat(np.arange(len(starts)), lengths)
+    lead = (data[inside] & 0xC0) != 0x80  # bytes that begin a character
+    first, token = inside[lead], token[lead]
     for n in GRAMS:
-        fits = room[inside] >= n
-        at = inside[fits]
-        places.append(rolling.spans(sums, at, at + n) >> size)
-        texts.append(owner[fits])
+        if len(first) < n:
+            continue
+        end = np.append(first[n:], len(data))  # where the n characters from here end, if they are of one token
+        end = np.minimum(end, ends[token[: len(end)]])
+        fits = np.flatnonzero(token[n - 1 :] == token[: len(token) - n + 1])
+        places.append(rolling.spans(sums, first[fits], end[fits]) >> size)
+        texts.append(text[token[fits]])
     return np.concatenate(places).astype(np.int64), np.concatenate(texts)
 
 

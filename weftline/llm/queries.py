@@ -33,16 +33,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-#: bounds of the samples that classifiers are fitted on: rows, and bytes of a text
-FIT_ROWS, FIT_BYTES = 4000, 60_000
+#: the bound of the samples that classifiers are fitted on
+FIT_ROWS = 4000
 
 
 def toxicity_chain(spark: SparkSession, sf_dir: str):
     from weftline.llm import toxicity
     from weftline.llm.labelled import labelled_texts
 
-    texts, flags = labelled_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", FIT_ROWS, FIT_BYTES)
-    return toxicity.train(texts, toxicity.targets(texts, flags))
+    texts, flags = labelled_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", FIT_ROWS)
+    return toxicity.train(texts, flags)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.labelled import labelled_texts
 
     docs = table(spark, sf_dir, "documents")
-    sample = labelled_texts(docs, table(spark, sf_dir, "labels"), "quality", FIT_ROWS, FIT_BYTES, quality.learnable())
+    sample = labelled_texts(docs, table(spark, sf_dir, "labels"), "quality", FIT_ROWS, quality.learnable())
     return quality.score_quality(docs, quality.train(*sample))
 
 

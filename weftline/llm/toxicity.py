@@ -5,11 +5,14 @@ the earlier categories.  In training those are out-of-fold predictions, so that
 from what it will see on new texts.  Features are words (A-Z lower-cased) and their first 4 to 8
 bytes, present or not; the ``features`` that tell flagged rows best are kept, if in two of them at least.
 
-The table of labels has one flag.  The chain is ``insult`` (flagged rows that hold a word of the
-list below), ``veiled`` (flagged rows that hold none), and ``toxic`` (the flag itself), which decides.
+The table of labels has one flag, so the categories before the last are found in the labelled rows:
+the flagged ones are parted into ``THEMES`` groups by spherical k-means over their features (started from
+fixed draws), and a group is a category.  The chain is ``theme1``, ``theme2`` (1 for the larger group) and
+``toxic``, the flag itself, which decides.  No list of words is given.
 
 The fit uses at most ``rows`` labelled documents (a documented bound); scoring covers every row and
-whole texts.  Null and empty texts score by the models' biases.  Repeated rows are scored each.
+whole texts, however long.  Null and empty texts score by the models' biases.  Repeated rows are scored
+each, null ids too.  An empty table gives no rows.  Extra columns are ignored, or kept by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -24,9 +27,8 @@ from pyspark.sql import functions as F
 from weftline.llm import rolling
 from weftline.llm.common import pieces, record
 
-#: fixed values: plain insults
-INSULTS = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
-CATEGORIES = ("insult", "veiled", "toxic")
+THEMES = 2
+CATEGORIES = (*(f"theme{k + 1}" for k in range(THEMES)), "toxic")
 PREFIXES = (4, 5, 6, 7, 8)
 _KIND = np.uint64(0x632BE59BD9B4E019)
 
@@ -108,14 +110,30 @@ def _fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, size: int, ep
     return w
 
 
-def train(texts: list[str], targets: np.ndarray, features: int = 500, folds: int = 5, epochs: int = 8, seed: int = 3) -> Chain:
-    """Fit the chain; ``targets`` has a 0/1 column for each category, in the order of the chain.
-
-    A category without both values gets a constant model.
-    """
+def themes(rows: list[np.ndarray], size: int, seed: int, rounds: int = 20) -> np.ndarray:
+    """A group for each row of feature numbers, the largest group first; rows without features are in the last."""
+    if not size or not rows:
+        return np.full(len(rows), THEMES - 1)
+    x = np.zeros((len(rows), size))
+    for r, at in enumerate(rows):
+        x[r, at] = 1 / max(1, len(at)) ** 0.5
+    draw = np.random.default_rng(seed)
+    center = x[draw.choice(len(rows), THEMES, replace=len(rows) < THEMES)]
+    for _ in range(rounds):
+        group = (x @ center.T).argmax(axis=1)
+        sums = np.stack([x[group == k].sum(axis=0) if (group == k).any() else center[k] for k in range(THEMES)])
+        center = sums / np.maximum(1e-9, np.linalg.norm(sums, axis=1))[:, None]
+    order = np.argsort(-np.bincount(group, minlength=THEMES), kind="stable")
+    group = np.argsort(order)[group]
+    group[[not len(r) for r in rows]] = THEMES - 1
+    return group
+
+
+def train(texts: list[str], flags: list[int], features: int = 500, folds: int = 5, epochs: int = 8, seed: int = 3) -> Chain:
+    """Fit the chain on texts and their 0/1 flags.  A category without both values gets a constant model."""
     raw = [x.encode() for x in texts]
     found = [np.unique(present(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0]) if x else np.zeros(0, np.uint64) for x in raw]
-    toxic = targets.any(axis=1)
+    toxic = np.array(flags, bool)
     count = lambda chosen: np.unique(np.concatenate([np.zeros(0, np.uint64), *(f for f, c in zip(found, chosen, strict=True) if c)]), return_counts=True)
     kept, many = count(toxic)
     kept, many = kept[many >= 2], many[many >= 2]
@@ -128,6 +146,9 @@ def train(texts: list[str], targets: np.ndarray, features: int = 500, folds: int
     hashes = np.sort(kept[np.argsort(-gain, kind="stable")[:features]])
     chain = Chain(hashes, [])
     rows = [chain.features(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[1] if x else np.zeros(0, np.int64) for x in raw]
+    theme = np.full(len(rows), -1)
+    theme[toxic] = themes([r for r, t in zip(rows, toxic, strict=True) if t], len(hashes), seed)
+    targets = np.column_stack([*(theme == k for k in range(THEMES)), toxic]).astype(np.int64)
     part = np.random.default_rng(seed).permutation(len(rows)) % folds
     done = np.zeros((len(rows), 0))
     for c in range(targets.shape[1]):
@@ -150,17 +171,7 @@ def train(texts: list[str], targets: np.ndarray, features: int = 500, folds: int
     return chain
 
 
-def targets(texts: list[str], flags: list[int]) -> np.ndarray:
-    """The categories of labelled texts (see above)."""
-    import re
-
-    word = re.compile(rb"(?<![0-9A-Za-z\x80-\xff])(?:" + "|".join(INSULTS).encode() + rb")(?![0-9A-Za-z\x80-\xff])", re.IGNORECASE)
-    plain = np.array([bool(word.search(x.encode())) for x in texts], bool)
-    flag = np.array(flags, bool)
-    return np.column_stack((flag & plain, flag & ~plain, flag)).astype(np.int64)
-
-
-RESULT = "doc_id long, insult double, veiled double, toxic double, rejected boolean"
+RESULT = "doc_id long, theme1 double, theme2 double, toxic double, rejected boolean"
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
