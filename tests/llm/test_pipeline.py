@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from weftline.llm import common, mixing
+from weftline.llm import common
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -46,5 +46,4 @@ def test_stages_keep_columns_and_do_their_work(spark):
             sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
     for i, a in enumerate(sets):
         assert not any(100 * len(a & b) >= 85 * len(a | b) for b in sets[:i])
-    counted = {r.doc_id for r in common.table(spark, SF, "documents").filter(mixing.n_words(common.F.col("text")) > 0).select("doc_id").collect()}
-    assert set(seen["mixing"]) & counted == set(seen["pii"]) & counted
+    assert set(seen["mixing"]) == set(seen["pii"])

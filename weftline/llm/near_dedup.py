@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
 def without_copies(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with one row of each group: that of the smallest id.
 
-    Where rows share that id, the one with the smallest text and then the smallest hash of its other
+    Where rows share that id, the one with the smallest text (null is smallest) and then the smallest hash of its other
     columns stays (of wholly equal rows, any one).  Rows without an id stay, with all their columns.
     """
     found = staged(near_duplicates(docs, percent, doc_id, text), "groups")
@@ -351,6 +351,6 @@ def without_copies(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", t
     if again.isEmpty():
         return left
     same = F.col(doc_id) == F.col(twice)
-    packed = left.join(_small(again), same, "left_semi").select(F.col(doc_id).alias(place), F.struct(F.col(text), F.xxhash64(*left.columns), F.struct(*left.columns)).alias(row))
-    one = packed.groupBy(place).agg(F.min(row).alias(row)).select(f"{row}.col3.*")
+    packed = left.join(_small(again), same, "left_semi").select(F.col(doc_id).alias(place), F.struct(F.col(text).alias("t"), F.xxhash64(*left.columns).alias("h"), F.struct(*left.columns).alias("r")).alias(row))
+    one = packed.groupBy(place).agg(F.min(row).alias(row)).select(f"{row}.r.*")
     return left.join(_small(again), same, "left_anti").unionByName(one)
