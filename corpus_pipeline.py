@@ -4,6 +4,10 @@ Stages: toxic documents go, one document of each near-duplicate group stays, doc
 benchmark passages go, personal data is replaced in the texts, and the sources are mixed.  All but the
 last return the columns of documents; the last adds n_tokens, copy, block and slot.  No stage drops
 other documents, and with the budget of the last stage every document is used once at least.
+
+Documents with a null or empty text are neither toxic, copies, contaminated nor redacted, so they go
+through to the end.  Rows without an id are no copies of anything; of rows that share an id, each is
+judged by its own text, and one of each near-duplicate group stays.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -96,10 +96,13 @@ class Selector:
         return self.kept[t]
 
     def _tests(self, own: set[str], method: str) -> set[str]:
-        """Tests that come with nodes which are selected by name or tag."""
-        if method not in ("name", "fqn", "tag", "path", "package", "source", "file"):
+        """Tests that come with models and seeds which are selected by name or tag.
+
+        Paths, files and packages are those of the test itself, and a source's tests come by their own names.
+        """
+        if method not in ("name", "fqn", "tag"):
             return set()
-        nodes = {k for k in own if isinstance(self.graph.resources[k], Node | Source)}
+        nodes = {k for k in own if isinstance(self.graph.resources[k], Node)}
         found = set()
         for k, r in self.graph.resources.items():
             if isinstance(r, Test) and r.enabled and ((r.attached in nodes) if not r.singular else bool(nodes & set(r.depends_on))):

@@ -235,6 +235,14 @@ def seed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(p, "people")
 
 
+@query("SELECT * FROM (VALUES (1234567890123456789, CAST(18446744073709551616 AS VARCHAR), 0.5), (-9223372036854775808, '-5', 2.0)) t(id, wide, part)")
+def seed_big_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers of 64 bits stay whole, and wider ones too."""
+    p = project(spark, sf_dir, {"seeds/big.csv": "id,wide,part\n1234567890123456789,18446744073709551616,0.5\n-9223372036854775808,-5,2\n"})
+    p.seed()
+    return relation(p, "big").select("id", F.col("wide").cast("string").alias("wide"), F.col("part").cast("double").alias("part"))
+
+
 @query("SELECT CAST(1 AS INTEGER) AS \"Order ID\", 'Ada' AS \"customer name\", CAST(10.50 AS DECIMAL(10,2)) AS amount")
 def seed_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     yml = "seeds:\n  - name: typed\n    config:\n      quote_columns: true\n      column_types:\n        Order ID: integer\n        customer name: varchar\n        amount: decimal(10,2)\n"
@@ -468,7 +476,7 @@ def freshness_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 # catalog and graph
 
 
-@query()
+@query("SELECT DISTINCT table_name, ordinal_position AS ordinal, column_name, data_type FROM information_schema.columns WHERE table_name IN ('nation', 'orders')")
 def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = scratch()
     external(spark, sf_dir, schema, "orders", "nation")
@@ -500,3 +508,39 @@ def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = {f"models/{k}.sql": ("{{ config(tags=['mart']) }}" if k in "cd" else "") + "select 1 as x" + "".join(f" union all select x from {{{{ ref('{a}') }}}}" for a in v) for k, v in parents.items()}
     p = project(spark, sf_dir, files)
     return spark.createDataFrame([(s, " ".join(r.name for r in p.selector.select(s))) for s in ("+b", "b+1", "@e", "tag:mart,d+", "c e", "[c-d]")], "selector string, names string")
+
+
+_TESTED_YML = """
+sources:
+  - name: raw
+    schema: {raw}
+    tables:
+      - name: nation
+        columns:
+          - name: n_nationkey
+            tests: [not_null]
+models:
+  - name: places
+    config: {{tags: [geo]}}
+    columns:
+      - name: n_nationkey
+        tests: [unique]
+"""
+
+
+def tested_project(spark: SparkSession, sf_dir: str) -> Project:
+    """A model over a tested source, with a test of its own and a singular one."""
+    schema = scratch()
+    external(spark, sf_dir, schema, "nation")
+    return project(spark, sf_dir, {"models/geo/places.sql": "select n_nationkey, n_name from {{ source('raw', 'nation') }}", "models/schema.yml": _TESTED_YML.format(raw=schema), "tests/named.sql": "select * from {{ ref('places') }} where n_name is null"})
+
+
+@query(
+    "SELECT * FROM (VALUES ('places', 'named places unique_places_n_nationkey'), ('tag:geo', 'named places unique_places_n_nationkey'), ('path:models/geo', 'places'), ('source:raw.nation', 'nation'),"
+    " ('path:tests', 'named'), ('test_type:singular', 'named'), ('resource_type:model', 'places'), ('package:shop,resource_type:source', 'nation'), ('file:named', 'named')) t(selector, names)"
+)
+def indirect_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests come with models that are chosen by name or tag, and by no other method."""
+    p = tested_project(spark, sf_dir)
+    chosen = ("places", "tag:geo", "path:models/geo", "source:raw.nation", "path:tests", "test_type:singular", "resource_type:model", "package:shop,resource_type:source", "file:named")
+    return spark.createDataFrame([(s, " ".join(sorted(r.name for r in p.selector.select(s)))) for s in chosen], "selector string, names string")

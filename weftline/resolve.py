@@ -8,7 +8,7 @@ from weftline.model import Graph, Macro, Node, Resource, Source, Test, UnitTest
 from weftline.properties import literal_call
 
 #: adapters that may use another one's macros
-FALLBACK = {"redshift": "postgres", "databricks": "spark", "spark": "duckdb"}
+FALLBACK = {"redshift": "postgres", "databricks": "spark"}
 
 
 def find_ref(graph: Graph, package: str | None, name: str, own: str) -> Node:

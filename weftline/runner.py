@@ -28,7 +28,7 @@ from weftline.plans.select import Selector
 from weftline.plans.state import State
 from weftline.properties import literal_call
 from weftline.resolve import find_ref, find_source, relationship_parent
-from weftline.sources.backend import MATERIALIZATIONS, Backend, engine_settings
+from weftline.sources.backend import MATERIALIZATIONS, Backend, engine_settings, tick
 from weftline.sources.files import inside
 
 AUDIT = "dbt_test__audit"
@@ -103,8 +103,15 @@ class Project:
                 out.append({"name": r.search_name, "path": r.file, "selector": r.selector}.get(o.output, r.unique_id))
         return out
 
+    def needed(self, found: list[Resource], what: str) -> list[Resource]:
+        """``found``, or an error before anything is written if nothing was chosen."""
+        if not found:
+            raise ProjectError(f"the selection holds no {what}")
+        return found
+
     def compile(self, tests: bool = True, analyses: bool = True) -> dict[str, int]:
         found = self.chosen()
+        self.needed([r for r in found if r.kind in ("model", "analysis") or isinstance(r, Test)], "model, analysis or data test to compile")
         self.compile_resources(found, tests, analyses)
         self.write_manifest()
         return {k: sum(r.kind == k and r.compiled is not None for r in found) for k in ("model", "analysis", "test")}
@@ -127,17 +134,29 @@ class Project:
     # commands with data
 
     def run(self) -> list[Result]:
-        return self._execute([r for r in self.chosen() if r.kind == "model"])
+        return self._execute(self.needed([r for r in self.chosen() if r.kind == "model"], "model to run"))
 
     def seed(self) -> list[Result]:
-        return self._execute([r for r in self.chosen() if r.kind == "seed"], stop=True)
+        return self._execute(self.needed([r for r in self.chosen() if r.kind == "seed"], "seed to load"), stop=True)
 
     def test(self) -> list[Result]:
-        return self._execute([r for r in self.chosen() if isinstance(r, Test | UnitTest)])
+        return self._execute(self.needed([r for r in self.chosen() if isinstance(r, Test | UnitTest)], "test to run"))
 
     def build(self) -> list[Result]:
         """Seeds, models, tests and unit tests; what can't be run (sources, exposures, analyses) is passed over."""
-        return self._execute([r for r in self.chosen() if isinstance(r, Test | UnitTest) or r.kind in ("model", "seed")])
+        found = self.needed([r for r in self.chosen() if isinstance(r, Test | UnitTest) or r.kind in ("model", "seed")], "seed, model or test to build")
+        if any(r.kind == "seed" for r in found):
+            self._attached(found)
+        return self._execute(found)
+
+    def _attached(self, found: list[Resource]) -> None:
+        """With seeds, every data test must be of nodes that are built as well."""
+        built = {r.unique_id for r in found}
+        for t in found:
+            if isinstance(t, Test):
+                needs = [k for k in t.depends_on if k.startswith(("model.", "seed."))] if t.singular else [t.attached]
+                if missing := [k for k in needs if k not in built]:
+                    raise ProjectError(f"{t.unique_id} tests {missing[0]}, which is not selected")
 
     def _execute(self, found: list[Resource], stop: bool = False) -> list[Result]:
         nodes = [r for r in found if isinstance(r, Node) and r.materialized != "ephemeral"]
@@ -388,12 +407,12 @@ class _Run:
             n = known if known is not None and not (known and c.store_failures) else None
             if n is None:
                 found = self.failing(t)
+                if c.store_failures:  # written once, then counted where it is
+                    self.p.backend.write(AUDIT, t.identifier, found)
+                    found = self.p.backend.sql(f"select * from {tick(AUDIT)}.{tick(t.identifier)}")
                 n = int(checks.failure_count(found).first().failures)
-                if c.store_failures:
-                    if n:
-                        self.p.backend.write(AUDIT, t.identifier, found)
-                    else:
-                        self.p.backend.drop(AUDIT, t.identifier)
+                if c.store_failures and not n:
+                    self.p.backend.drop(AUDIT, t.identifier)
             elif c.store_failures:
                 self.p.backend.drop(AUDIT, t.identifier)
             status, message = checks.status(n, c.severity, c.warn_if, c.error_if)

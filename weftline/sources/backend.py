@@ -81,6 +81,7 @@ class Backend:
             self.write(schema, name, self.spark.sql(text))
 
     def write(self, schema: str, name: str, df: DataFrame) -> None:
+        """Replace a relation by a table.  Between the drop and the rename there is none of that name."""
         self.create_schema(schema)
         beside = f"{name}__{uuid.uuid4().hex[:12]}"
         df.write.mode("overwrite").format("parquet").saveAsTable(f"{tick(schema)}.{tick(beside)}")  # before anything is dropped: a failure leaves the old relation
@@ -131,7 +132,7 @@ class Backend:
 
 
 _INFER = (
-    ("bigint", re.compile(r"[-+]?[0-9]{1,18}")),
+    ("bigint", re.compile(r"[-+]?[0-9]+")),
     ("double", re.compile(r"[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?")),
     ("boolean", re.compile(r"true|false", re.I)),
     ("date", re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")),
@@ -142,7 +143,11 @@ _INFER = (
 def inferred(values: list[str | None]) -> str:
     """The first type that all values have; string for a column without values."""
     there = [v.strip() for v in values if v is not None]
-    return next((kind for kind, form in _INFER if there and all(form.fullmatch(v) for v in there)), "string")
+    found = next((kind for kind, form in _INFER if there and all(form.fullmatch(v) for v in there)), "string")
+    if found == "bigint":
+        largest = max(abs(int(v)) - (v[0] == "-") for v in there)  # a long has one more below zero
+        return "bigint" if largest < 1 << 63 else "decimal(38,0)" if largest < 10**38 - 1 else "double"
+    return found
 
 
 def plain_name(name: str) -> str:
