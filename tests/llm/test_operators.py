@@ -554,7 +554,8 @@ def test_fit_sample_is_fixed_and_whole(spark):
 
 def test_secrets_of_letters_and_long_tokens():
     field = pii.train()
-    letters = "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(32))
+    draw = random.Random(3)
+    letters = "".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(32))
     hexed = "%040x" % random.Random(5).getrandbits(160)
     texts = [f'the config has secret = "{letters}" in it', f"password: {hexed} is old", "a Bundesverfassungsgericht is a court", "x" * 300_000 + " and 12 more", "=" * 60]
     _, every = pii.find_spans(texts, field)
