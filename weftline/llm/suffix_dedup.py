@@ -340,11 +340,11 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), ends[np.append(new[1:], len(ends)) - 1].tolist(), strict=True)) if len(new) else []
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean"
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """Counts and digest of what is left of every row; with ``keep_text`` also its bytes."""
+    """Counts and digest of what is left of every row, and whether anything repeats; with ``keep_text`` also its bytes."""
     rows, _ = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     ranges = staged(repeated_ranges(rows.select("uid", "text"), length), "ranges")
     result = RESULT + ", kept binary" * keep_text
@@ -352,7 +352,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     def left(doc: int | None, data: np.ndarray, spans: list[tuple[int, int]]) -> tuple:
         edges = [0, *(x for s in spans for x in s), len(data)]
         kept = b"".join(data[edges[k] : edges[k + 1]].tobytes() for k in range(0, len(edges), 2))
-        return (doc, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept)[: 5 + keep_text]
+        return (doc, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(kept) < len(data), kept)[: 6 + keep_text]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
