@@ -116,6 +116,36 @@ def test_fingerprints_of_neighbours(docs, nothing):
     assert fingerprints.fingerprint_neighbours(nothing).count() == 0
 
 
+def brute_fingerprint(raw):
+    """Chunk by chunk, in whole numbers."""
+
+    def hashed(part):
+        x = (sum(int(rolling.VALUES[c]) * pow(int(rolling.BASE), k, 1 << 64) for k, c in enumerate(part)) + len(part)) % (1 << 64)
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+        return x ^ x >> 31
+
+    def signs(cuts):
+        edges = sorted({0, len(raw), *cuts})
+        return "".join(chr(fingerprints.LETTERS[hashed(raw[a:b]) >> 58]) for a, b in zip(edges, edges[1:], strict=False))
+
+    if not raw:
+        return "0::"
+    zeros = []
+    for i in range(len(raw)):
+        bits = f"{hashed(raw[max(0, i - 6) : i + 1]):064b}"
+        zeros.append(min(62, 64 - len(bits.rstrip("0"))))
+    n = next(k for k in range(64) if sum(z >= k for z in zeros) < 64)
+    return f"{n}:" + ":".join(signs([i + 1 for i, z in enumerate(zeros) if z >= k]) for k in (n, n + 1))
+
+
+def test_fingerprints_equal_brute_force():
+    draw = random.Random(12)
+    texts = [x or "" for x in sample() if len(x or "") < 4000] + ["a" * 700, "é", "ab" * 300, prose(draw, 400)]
+    raw = [x.encode() for x in texts]
+    assert fingerprints.fingerprints(raw) == [brute_fingerprint(x) for x in raw]
+
+
 def test_common_subsequence_equals_dynamic_programming():
     draw = random.Random(1)
     for _ in range(200):
@@ -215,6 +245,19 @@ def test_token_counts_equal_the_library(docs, nothing):
     assert token_counts.count_tokens(nothing).count() == 0
 
 
+def test_what_tasks_tell_is_bounded_and_holds_the_heaviest(spark):
+    for tasks in (1, 32, 211, 5000, 1 << 17, 1 << 20):
+        own, slices = token_counts.shares(tasks, 4096, 1 << 17)
+        assert own * tasks <= max(1 << 17, tasks) and own * slices >= 4096
+    draw = random.Random(4)
+    words = [prose(draw, 1) for _ in range(60)]
+    docs = table(spark, [" ".join(draw.choices(words, [1 / (k + 1) for k in range(60)], k=200)) for _ in range(300)]).repartition(24)
+    every = token_counts.frequent_lengths(docs, "piece_bpe_32k.model", per_task=32)
+    sliced = token_counts.frequent_lengths(docs, "piece_bpe_32k.model", per_task=32, told=24 * 8)  # 4 slices of 6 tasks
+    assert all(every[w] == n for w, n in sliced.items() if w in every)
+    assert 32 <= len(every) and 24 <= len(sliced) <= len(every) + 32 and " " + words[0] in sliced and " " + words[1] in sliced
+
+
 # 5, 6
 
 
@@ -433,6 +476,79 @@ def test_license_places_equal_brute_force(docs, nothing):
     assert license_scan.scan_licenses(nothing).count() == 0
 
 
+def brute_ends(tokens, words, starts):
+    """Places behind the tokens of a template, from any of the places ``starts``."""
+    now, k = set(starts), 0
+    while k < len(tokens):
+        t = tokens[k]
+        if t == "[[":
+            depth, j = 1, k
+            while depth:
+                j += 1
+                depth += (tokens[j] == "[[") - (tokens[j] == "]]")
+            now |= brute_ends(tokens[k + 1 : j], words, now)
+            k = j
+        elif t == "{{#}}":
+            now = {i + 1 for i in now if i < len(words) and words[i].isdecimal()}
+        elif t[:2] == "{{":
+            now = {j for i in now for j in range(i, min(len(words), i + int(t[2:-2])) + 1)}
+        else:
+            now = {i + 1 for i in now if i < len(words) and words[i] == t}
+        k += 1
+    return now
+
+
+def written(draw, tokens):
+    """A text that the template's tokens take."""
+    out, k = [], 0
+    while k < len(tokens):
+        t = tokens[k]
+        if t == "[[":
+            depth, j = 1, k
+            while depth:
+                j += 1
+                depth += (tokens[j] == "[[") - (tokens[j] == "]]")
+            out += written(draw, tokens[k + 1 : j]) if draw.random() < 0.5 else []
+            k = j
+        elif t == "{{#}}":
+            out.append(str(draw.randint(1, 4)))
+        elif t[:2] == "{{":
+            out += [draw.choice(["ann", "lee", "2020"]) for _ in range(draw.randint(0, int(t[2:-2])))]
+        else:
+            out.append(t)
+        k += 1
+    return out
+
+
+def test_labels_equal_brute_force(spark):
+    draw = random.Random(3)
+    cut = [(label, re.sub(r"(\[\[|\]\])", r" \1 ", t).split()) for label, t in license_scan.TEMPLATES]
+    texts = []
+    for _, tokens in cut:
+        for change in (0, 0, 1, 1):
+            words = [*prose(draw, 5).split(), *written(draw, tokens), *prose(draw, 5).split()]
+            if change:  # a word is changed, left out or put in
+                at = draw.randrange(len(words))
+                words[at : at + draw.randint(0, 1)] = draw.choice([[], ["odd"], [words[at].upper()]])
+            texts.append(draw.choice([" ", ", ", "\n"]).join(words))
+    texts += [" ".join(draw.sample(texts, 3)) for _ in range(10)] + ["copyright " * 50 + "all rights reserved", None, ""]
+    got = by_id(license_scan.scan_licenses(table(spark, texts)))
+    for i, t in enumerate(texts, 1):
+        words, runs, score = WORD.findall(ascii_lower(t)), [], 0.0
+        for label, tokens in cut:
+            longest, at = sum(x not in ("[[", "]]") and (x[:2] != "{{" or x == "{{#}}") for x in tokens), 0
+            while at < len(words):
+                end = max(brute_ends(tokens, words, {at}), default=at)
+                if end > at:
+                    runs.append((at, label, end))
+                    score = max(score, min(1.0, (end - at) / longest))
+                at = max(end, at + 1)
+        base = {label for phrase, label in license_scan.PHRASES.items() if f" {phrase} " in f" {' '.join(words)} "}
+        assert got[i].matches == ",".join(f"{label}:{a}:{b}" for a, label, b in sorted(runs)), (t, got[i].matches)
+        assert got[i].labels == ",".join(sorted({label for _, label, _ in runs} | base)) and abs(got[i].score - score) < 1e-12
+    assert all(got[1 + 4 * k].labels and got[2 + 4 * k].labels for k in range(len(cut)))
+
+
 def test_automata_take_optional_and_replaceable_words():
     own = license_scan.Automaton("x", "copyright [[c]] {{2}} all rights")
     for text, end in (("copyright all rights", 3), ("copyright c jo doe all rights", 6), ("copyright c a b d all rights", 0), ("copyright all", 0)):

@@ -3,8 +3,8 @@
 A text is cut into pre-tokens before every run of spaces.  No piece of the vocabulary holds the space
 mark after another character, so the tokens of a text are the tokens of its pre-tokens.  Tier one is a
 broadcast table with the lengths of frequent pre-tokens; tier two is a worker-local cache in front of
-the tokenizer.  Pre-tokens are never shuffled: each task keeps its heaviest ones and only those
-summaries (at most ``per_task`` rows a task) are merged.
+the tokenizer.  Pre-tokens are never shuffled: each task tells the driver its heaviest ones, and what
+all tasks tell together is bounded, however many they are.
 
 Both tiers are caches: the counts are those of the library whatever the tables hold.  Null and empty
 texts have 0 bytes and 0 tokens; repeated rows are counted each; extra columns are ignored.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,14 +52,26 @@ def _length(model, word: str) -> int:
     return len(model.encode(word[1:])) if len(word) > 1 else 1
 
 
-def frequent_lengths(docs: DataFrame, name: str, text: str = "text", per_task: int = 4096, size: int = 65536, held: int = 200_000) -> dict[str, int]:
+def shares(tasks: int, per_task: int, told: int) -> tuple[int, int]:
+    """How many pre-tokens each task tells, and into how many slices pre-tokens are dealt."""
+    own = max(1, min(per_task, told // max(1, tasks)))
+    return own, -(-per_task // own)
+
+
+def frequent_lengths(docs: DataFrame, name: str, text: str = "text", per_task: int = 4096, size: int = 65536, held: int = 200_000, told: int = 1 << 17) -> dict[str, int]:
     """Lengths of the ``size`` heaviest pre-tokens; bounded by parameters, whatever the corpus.
 
     Every text is counted.  A task that holds over ``held`` distinct pre-tokens halves its counts and
-    drops the ones that reach zero, so its memory is bounded too.
+    drops the ones that reach zero, so its memory is bounded too.  All tasks together tell at most
+    ``told`` pre-tokens (one each at least).  Beyond ``told / per_task`` tasks each tells fewer, and only
+    those of one slice, dealt by hash: tasks of the same slice tell of the same pre-tokens, and all
+    slices together still hold about ``per_task`` of the heaviest.
     """
+    own, slices = shares(docs.rdd.getNumPartitions(), per_task, told)
 
     def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         seen: Counter[str] = Counter()
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -67,13 +80,14 @@ def frequent_lengths(docs: DataFrame, name: str, text: str = "text", per_task: i
                         seen.update(_PRE.findall(" " + value.replace(MARK, " ")))
                 while len(seen) > held:
                     seen = Counter({k: n >> 1 for k, n in seen.items() if n > 1})
-        top = [x for x in seen.most_common(per_task) if x[1] > 1 and len(x[0]) <= 64]
+        mine = TaskContext.get().partitionId() % slices
+        top = Counter({w: n for w, n in seen.items() if n > 1 and len(w) <= 64 and (slices == 1 or crc32(w.encode()) % slices == mine)}).most_common(own)
         model = _library(name)
         yield pa.RecordBatch.from_pydict({"word": [w for w, _ in top], "seen": [n for _, n in top], "length": [_length(model, w) for w, _ in top]}, schema=pa.schema([("word", pa.string()), ("seen", pa.int64()), ("length", pa.int32())]))
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(heavy, "word string, seen long, length int")
-    top = found.groupBy("word").agg(F.sum("seen").alias("seen"), F.first("length").alias("length")).orderBy(F.desc("seen"), "word").limit(size)
-    return {r.word: r.length for r in top.select("word", "length").toLocalIterator()}
+    found = docs.select(F.col(text).alias("text")).mapInArrow(heavy, "word string, seen long, length int").toArrow()
+    merged = found.group_by("word").aggregate([("seen", "sum"), ("length", "min")]).sort_by([("seen_sum", "descending"), ("word", "ascending")]).slice(0, size)
+    return dict(zip(merged["word"].to_pylist(), merged["length_min"].to_pylist(), strict=True))
 
 
 def count_tokens(docs: DataFrame, name: str = "piece_bpe_32k.model", limit: int = 4096, doc_id: str = "doc_id", text: str = "text", lengths: dict[str, int] | None = None, cached: int = 300_000) -> DataFrame:
