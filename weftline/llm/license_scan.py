@@ -28,22 +28,30 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 #: fixed values: wordings of public licences and of the notices that point to them
 TEMPLATES = [
     ("mit", "[[released]] [[licensed]] [[distributed]] under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software [[the software is provided as is without warranty of any kind]]"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software [[the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{8}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software]]"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies [[the software is provided as is and {{4}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{4}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software]]"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by {{8}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[3]] neither the name of {{8}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission [[this software is provided by {{8}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed]]"),
     ("bsd", "[[licensed]] under the [[{{#}} clause]] bsd [[{{#}} clause]] license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution"),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
     ("apache-2", "[[licensed]] [[released]] [[under]] [[the]] apache license version 2 [[0]] [[the license you may not use this file except in compliance with the license]]"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {{12}} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("gpl-3", "[[this work is]] [[this program is]] [[licensed]] under the gnu general public license [[gpl]] version 3 [[or later]]"),
     ("gpl-2", "[[this work is]] [[this program is]] [[licensed]] under the gnu general public license [[gpl]] version 2 [[or later]]"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation [[either version {{#}} of the license]]"),
     ("lgpl", "under the [[terms of the]] gnu lesser general public license [[as published by the free software foundation]] [[version {{#}}]]"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("agpl", "under the [[terms of the]] gnu affero general public license [[as published by the free software foundation]] [[either]] [[version {{#}}]]"),
+    ("epl", "made available under the terms of the eclipse public license [[v]] {{#}} 0"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 [[if a copy of the mpl was not distributed with this file you can obtain one at {{8}}]]"),
     ("mpl-2", "[[licensed]] under the mozilla public license [[version]] 2 0"),
     ("cc-by-nc", "[[licensed]] [[under]] [[a]] [[creative commons]] cc by nc [[sa]] [[nd]] [[{{#}} 0]]"),
     ("cc-by-sa", "licensed under [[creative commons]] cc by sa [[{{#}} 0]]"),
     ("cc-by", "licensed under [[creative commons]] cc by {{#}} 0"),
     ("cc0", "[[licensed]] under [[creative commons]] cc0 [[{{#}} 0]] [[universal]]"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "this is free and unencumbered software released into the public domain [[anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means]]"),
     ("proprietary", "copyright [[c]] {{6}} all rights reserved"),
 ]
 
