@@ -243,6 +243,22 @@ def seed_big_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(p, "big").select("id", F.col("wide").cast("string").alias("wide"), F.col("part").cast("double").alias("part"))
 
 
+@query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name || ', \"' || c_mktsegment || '\"' AS named, CASE WHEN c_acctbal > 0 THEN CAST(c_acctbal AS DOUBLE) END AS balance, c_acctbal > 0 AS rich FROM customer")
+def seed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as a CSV file, with quotes, commas and missing values, and read back as a seed."""
+    import csv
+    import io
+
+    out = io.StringIO()
+    lines = csv.writer(out)
+    lines.writerow(["c_custkey", "named", "balance", "rich"])
+    for r in read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal")).toLocalIterator():
+        lines.writerow([r.c_custkey, f'{r.c_name}, "{r.c_mktsegment}"', r.c_acctbal if r.c_acctbal > 0 else None, str(r.c_acctbal > 0).lower()])
+    p = project(spark, sf_dir, {"seeds/customers.csv": out.getvalue()})
+    p.seed()
+    return relation(p, "customers")
+
+
 @query("SELECT CAST(1 AS INTEGER) AS \"Order ID\", 'Ada' AS \"customer name\", CAST(10.50 AS DECIMAL(10,2)) AS amount")
 def seed_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     yml = "seeds:\n  - name: typed\n    config:\n      quote_columns: true\n      column_types:\n        Order ID: integer\n        customer name: varchar\n        amount: decimal(10,2)\n"
@@ -344,6 +360,61 @@ def failure_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.failure_count(read(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), "> 10", ">= 1000000")
 
 
+_RUN_YML = """
+models:
+  - name: stg
+    columns:
+      - name: o_orderkey
+        tests: [not_null, unique]
+      - name: o_custkey
+        tests:
+          - unique: {config: {warn_if: '> 0', error_if: '> 100000000'}}
+          - relationships: {to: ref('rich'), field: c_custkey}
+      - name: o_orderstatus
+        tests:
+          - accepted_values: {values: [F, O], config: {severity: warn}}
+          - accepted_values: {values: [F], config: {where: o_totalprice > 1000, limit: 2}}
+"""
+
+
+@query(
+    "WITH o AS (SELECT * FROM orders), found AS (SELECT 'not_null o_orderkey' AS test, 'fail' AS bad, (SELECT count(*) FROM o WHERE o_orderkey IS NULL) AS failures "
+    "UNION ALL SELECT 'unique o_orderkey', 'fail', (SELECT count(*) FROM (SELECT o_orderkey FROM o GROUP BY 1 HAVING count(*) > 1)) "
+    "UNION ALL SELECT 'unique o_custkey', 'warn', (SELECT count(*) FROM (SELECT o_custkey FROM o GROUP BY 1 HAVING count(*) > 1)) "
+    "UNION ALL SELECT 'relationships o_custkey', 'fail', (SELECT count(*) FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) "
+    "UNION ALL SELECT 'accepted_values o_orderstatus', 'warn', (SELECT count(DISTINCT o_orderstatus) FROM o WHERE o_orderstatus NOT IN ('F', 'O')) "
+    "UNION ALL SELECT 'only_f o_orderstatus', 'fail', (SELECT least(count(DISTINCT o_orderstatus), 2) FROM o WHERE o_totalprice > 1000 AND o_orderstatus <> 'F')) "
+    "SELECT test, CASE WHEN failures = 0 THEN 'pass' ELSE bad END AS status, CAST(failures AS BIGINT) AS failures FROM found "
+    "UNION ALL SELECT 'model ' || x, CASE WHEN x = 'after' THEN 'skipped' ELSE 'success' END, NULL FROM (VALUES ('stg'), ('rich'), ('after')) t(x)"
+)
+def test_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses and failures of a build with tests of all built-in kinds, and what they block."""
+    from weftline.errors import ResourceFailure
+
+    p = project(
+        spark,
+        sf_dir,
+        {
+            "models/stg.sql": "select o_orderkey, o_custkey, o_orderstatus, o_totalprice from {{ source('raw', 'orders') }}",
+            "models/rich.sql": "select c_custkey from {{ source('raw', 'customer') }} where c_acctbal > 0",
+            "models/after.sql": "select o_orderkey from {{ ref('stg') }}",
+            "models/tests.yml": _RUN_YML,
+        },
+        ("orders", "customer"),
+        threads=2,
+    )
+    try:
+        results = p.build()
+    except ResourceFailure as e:
+        results = e.results
+    rows = []
+    for x in results:
+        r = p.graph.resources[x.unique_id]
+        label = f"model {r.name}" if r.kind == "model" else f"{'only_f' if r.config.limit else r.spec.name} {r.column}"
+        rows.append((label, x.status, x.failures))
+    return spark.createDataFrame(rows, "test string, status string, failures long")
+
+
 _RULES = [("ERROR", "> 0", "> 10"), ("ERROR", "> 0", "> 1000000"), ("warn", "!= 0", "!= 0"), ("Error", "< 0", "= 0")]
 
 
@@ -485,17 +556,18 @@ def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EDGES = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "d")]
+_NODES = 60
 
 
-@query(f"WITH RECURSIVE e(p, c) AS (VALUES {', '.join(map(str, _EDGES))}), r(ancestor, node) AS (SELECT p, c FROM e UNION SELECT r.ancestor, e.c FROM r JOIN e ON r.node = e.p) SELECT ancestor, node FROM r")
+@query(
+    f"WITH RECURSIVE e(p, c) AS (SELECT DISTINCT k // d, k FROM range(2, {_NODES + 1}) n(k), (VALUES (2), (3)) t(d) WHERE k // d > 0), "
+    "r(ancestor, node) AS (SELECT p, c FROM e UNION SELECT r.ancestor, e.c FROM r JOIN e ON r.node = e.p) SELECT 'm' || ancestor AS ancestor, 'm' || node AS node FROM r"
+)
 def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descendants of every model, as the selector ``x+`` finds them."""
-    parents: dict[str, list[str]] = {}
-    for a, b in _EDGES:
-        parents.setdefault(a, [])
-        parents.setdefault(b, []).append(a)
-    p = project(spark, sf_dir, {f"models/{k}.sql": "select 1 as x" + "".join(f" union all select x from {{{{ ref('{a}') }}}}" for a in v) for k, v in parents.items()})
-    rows = [(k, r.name) for k in parents for r in p.selector.select(f"{k}+") if r.name != k]
+    """Descendants of every model, as the selector ``x+`` finds them; model k reads the models k // 2 and k // 3."""
+    parents = {k: sorted({k // 2, k // 3} - {0}) for k in range(1, _NODES + 1)}
+    p = project(spark, sf_dir, {f"models/m{k}.sql": "select 1 as x" + "".join(f" union all select x from {{{{ ref('m{a}') }}}}" for a in v) for k, v in parents.items()})
+    rows = [(f"m{k}", r.name) for k in parents for r in p.selector.select(f"m{k}+") if r.name != f"m{k}"]
     return spark.createDataFrame(rows, "ancestor string, node string")
 
 
