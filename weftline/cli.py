@@ -96,9 +96,18 @@ def options(command: str, args: list[str]) -> tuple[Options, dict[str, str]]:
 
 
 def session(graph: Graph):
-    """A session whose tables outlive the command: warehouse and metastore lie beside the target's path."""
+    """A session whose tables outlive the command.
+
+    A cluster's own warehouse and catalog are used as they are configured; on a single machine without
+    them, both lie beside the target's path.
+    """
+    from pyspark import SparkConf, SparkContext
     from pyspark.sql import SparkSession
 
+    SparkContext._ensure_initialized()  # so that the configuration holds what was submitted
+    given = SparkConf()
+    if not given.get("spark.master", "local").startswith("local") or given.contains("spark.sql.warehouse.dir"):
+        return SparkSession.builder.appName("weftline").getOrCreate()
     home = Path(graph.target.path) if graph.target.path else Path(graph.root) / graph.target_path / "warehouse"
     home = home.with_suffix("") if home.suffix else home
     home.mkdir(parents=True, exist_ok=True)
