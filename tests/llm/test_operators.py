@@ -422,6 +422,28 @@ def test_families_of_near_copies_lose_no_link(spark, monkeypatch, chunk):
     assert 1 < len(set(roots)) < len(texts)
 
 
+def test_blocks_meet_once_and_leave_large_components_alone(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK_ROWS", 4)
+    draw = random.Random(8)
+    rows = [(k, 0 if k < 30 else k, draw.choice([1, 20, 22, 40, 46]), k % 3 // 2) for k in range(60)] + [(100 + k, 100, 9, 7) for k in range(6)] + [(200, 200, 9, 8), (201, 201, 9, 8)]
+    sent = near_dedup.blocks(spark.createDataFrame(rows, "rep long, root long, n int, family long"), 85).collect()
+    held: dict = {}
+    for r in sent:
+        held.setdefault((r.family, r.i, r.j), ([], []))[r.side].append(r.uid)
+    met: dict = {}
+    for (_, i, j), (mine, theirs) in held.items():
+        assert len(mine) == len(set(mine)) and bool(theirs) == (i != j)
+        for a, b in ((a, b) for a in mine for b in theirs or mine if theirs or a < b):
+            met[frozenset((a, b))] = met.get(frozenset((a, b)), 0) + 1
+    assert set(met.values()) == {1}
+    told = {k: (root, n, family) for k, root, n, family in rows}
+    for a, b in ((a, b) for a in told for b in told if a < b):
+        (root, n, family), (other, m, f) = told[a], told[b]
+        if family == f and root != other and 100 * min(n, m) >= 85 * max(n, m):
+            assert frozenset((a, b)) in met
+    assert not any(x < 30 for pair in met if all(x < 30 for x in pair) for x in pair) and not any(100 <= x < 200 for x in set().union(*met))
+
+
 def test_joined_components_equal_all_pairs():
     draw = np.random.default_rng(2)
     sets = [np.sort(draw.choice(60, draw.integers(20, 40), replace=False)).astype(np.uint64) for _ in range(40)]

@@ -15,10 +15,13 @@ linked.
   the other buckets, those that can be linked with none of them go: with n shingles, u of them in no
   other of these classes, an intersection has at most n - u and the union at least n.  What is left
   are families of near copies that aren't linked with their smallest member.  A family is cut into
-  chunks of about ``CHUNK_ROWS`` classes or ``CHUNK_SHINGLES`` shingles, and each two chunks are
-  compared in a task of their own, by products of 0/1 matrices, on the full sets.  Only links that
-  join components leave a task, so nothing is emitted for each pair; the classes sent grow with the
-  size of a family times its chunks.  No link is lost here: nothing is estimated.
+  chunks of at most about ``CHUNK_ROWS`` classes or ``CHUNK_SHINGLES`` shingles, and two chunks are
+  compared in a task of their own, by products of 0/1 matrices, on the full sets.  A component that is
+  larger than a chunk has chunks of its own, which aren't compared with one another; the chunks of a
+  family are parted by set sizes as well, and those whose sizes rule out a link aren't compared.
+  Only links that join components leave a task, so nothing is emitted for each pair; the classes sent
+  grow with those outside a family's large components, times its chunks.  No link is lost here:
+  nothing is estimated.
 
 Two chances of losing a link remain.  Banding misses a pair at the threshold with probability
 (1 - 0.85**5)**24 < 1e-6, and the signature check drops it five standard deviations below the
@@ -32,6 +35,7 @@ one at a time but for a comparison's chunk.  An empty table gives no rows.  Extr
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -255,15 +259,32 @@ def families(opened: DataFrame) -> DataFrame:
     return components(opened.join(centers, "band").select("rep", "low")).withColumnsRenamed({"node": "rep", "root": "family"})
 
 
+def blocks(named: DataFrame, percent: int) -> DataFrame:
+    """(uid, root, family, i, j, side): the classes of ``named`` (rep, root, n, family) that each block (family, i, j) compares."""
+    cuts = F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
+    mixed = named.groupBy("family").agg(cuts.alias("all"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("family", "all")
+    large = named.groupBy("family", "root").agg(cuts.alias("own")).filter("own > 1")
+    level = F.when(F.col("all") > 1, F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(percent, 99)))).otherwise(0)
+    told = named.join(mixed, "family").join(large, ["family", "root"], "left").withColumn("level", level)
+    told = told.withColumn("held", F.col("own").isNotNull()).withColumn("of", F.when(F.col("held"), F.col("root")).otherwise(0))
+    group = ["family", "held", "of", "level"]
+    cut = told.join(told.groupBy(*group).agg(cuts.alias("cuts")), group).withColumn("cut", F.pmod(F.xxhash64("rep"), "cuts").cast("int"))
+    cut = staged(cut.select("rep", "root", "n", *group, "cut"), "cut")
+    chunks = cut.groupBy(*group, "cut").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    chunks = staged(chunks.selectExpr("*", "row_number() over (partition by family order by held, of, level, cut) as chunk"), "chunks")
+    one, other = (chunks.select("family", *(F.col(c).alias(f"{c}_{x}") for c in ("held", "of", "least", "most", "chunk"))) for x in "ij")
+    apart = f"chunk_i < chunk_j and not (held_i and held_j and of_i = of_j) and 100 * most_i >= {percent} * least_j and 100 * most_j >= {percent} * least_i"
+    met = one.join(other, "family").filter(f"chunk_i = chunk_j and not held_i or {apart}")
+    sides = F.expr("filter(array(struct(chunk_i as chunk, 0 as side), struct(chunk_j as chunk, 1 as side)), x -> x.side = 0 or chunk_i < chunk_j)")
+    met = met.select("family", F.col("chunk_i").alias("i"), F.col("chunk_j").alias("j"), F.explode(sides).alias("at")).select("family", "i", "j", "at.chunk", "at.side")
+    placed = cut.join(chunks.select(*group, "cut", "chunk"), [*group, "cut"])
+    return placed.join(met, ["family", "chunk"]).select(F.col("rep").alias("uid"), "root", "family", "i", "j", "side")
+
+
 def joining_links(docs: DataFrame, opened: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components of the classes of ``opened`` (band, rep, root, n), which is staged."""
-    named = opened.select("rep", "root", "n").distinct().join(families(opened), "rep")
-    named = staged(named, "families")
-    sizes = named.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"), F.min("root").alias("low"), F.max("root").alias("high"))
-    chunk = named.join(sizes.filter("low <> high").select("family", "chunks"), "family").withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
-    dealt = chunk.select(F.col("rep").alias("uid"), "root", "family", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select("uid", "root", "family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))
-    dealt = _small(staged(dealt, "blocks"))
+    named = staged(opened.select("rep", "root", "n").distinct().join(families(opened), "rep"), "families")
+    dealt = _small(staged(blocks(named, percent), "blocks"))
     rows = docs.join(dealt, "uid").select("family", "i", "j", "side", "uid", "root", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
