@@ -255,7 +255,7 @@ def joining(first: list[tuple], second: list[tuple], percent: int) -> list[tuple
 
 def families(opened: DataFrame) -> DataFrame:
     """(rep, family): classes that are tied by buckets; ``opened`` is staged."""
-    centers = opened.groupBy("band").agg(F.min("rep").alias("low"))
+    centers = _small(staged(opened.groupBy("band").agg(F.min("rep").alias("low")), "centers"))  # so that members aren't dealt by band
     return components(opened.join(centers, "band").select("rep", "low")).withColumnsRenamed({"node": "rep", "root": "family"})
 
 
@@ -334,7 +334,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     def unsettled(placed: DataFrame) -> DataFrame:
         """Classes of buckets that hold several components (the smallest class of a bucket has been compared)."""
         mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-        return staged(placed.join(mixed, "band"), "unsettled")
+        return staged(placed.join(_small(staged(mixed, "mixed")), "band"), "unsettled")
 
     opened = unsettled(_rooted(members.select("band", "rep"), roots))
     if not opened.isEmpty():
