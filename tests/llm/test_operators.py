@@ -392,6 +392,17 @@ def groups(texts):
     return [len(s) for s in sets], [find(i) for i in range(len(texts))]
 
 
+def test_many_rows_of_one_id_are_neighbours_by_text(spark):
+    draw = random.Random(4)
+    texts = ["p" * draw.choice([0, 10, 70]) + prose(draw, draw.randint(1, 30)) for _ in range(120)] + ["same"] * 5
+    ids = [draw.choice([None, None, 5, k]) for k in range(len(texts))]
+    rows = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    follow = [*rows[1:], rows[0]]
+    want = sorted((str(i), hashlib.sha256(fingerprints.edited(a, b).encode()).hexdigest()) for (i, a), (_, b) in zip(rows, follow, strict=True))
+    got = fingerprints.fingerprint_neighbours(table(spark, texts, ids).repartition(6)).collect()
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in got) == want
+
+
 @pytest.mark.parametrize("seed", [5, 6])
 def test_near_duplicates_equal_brute_force(spark, nothing, seed):
     texts = sample(seed)

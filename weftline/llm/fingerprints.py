@@ -104,6 +104,8 @@ def edited(text: str, other: str) -> str:
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: characters of a text that part rows of equal ids into ranges (ranges are found from a sample of them; rows are ordered by whole texts)
+PREFIX = 64
 ENDS = "place int, head string, tail string, tail_id long"
 
 
@@ -128,12 +130,13 @@ def fingerprint_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     Rows follow one another by descending doc_id; null ids come last, rows of equal ids are ordered by
     text, and after the last row comes the first.  A table of one row is its own neighbour.  Texts are shuffled once, by
-    ranges of doc_id; each range gives its rows but the last, whose neighbour starts another range.
+    ranges of doc_id and, for equal ids, of the text's first characters, so many rows without an id are
+    parted too; each range gives its rows but the last, whose neighbour starts another range.
     One row of each end of a range is then joined to the next range's.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    parts = rows.repartitionByRange(spread(docs.sparkSession), *order[:1]).sortWithinPartitions(*order)
+    parts = rows.repartitionByRange(spread(docs.sparkSession), order[0], F.substring("text", 1, PREFIX)).sortWithinPartitions(*order)
     schema, names, ends = f"{RESULT}, {ENDS}", arrow_schema(RESULT).names, arrow_schema(ENDS).names
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
